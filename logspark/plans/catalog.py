@@ -1,0 +1,16 @@
+"""The named queries, each with the DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class Query(NamedTuple):
+    run: Callable[[SparkSession, str], DataFrame]
+    oracle: str | None = None
+
+
+QUERIES: dict[str, Query] = {}
