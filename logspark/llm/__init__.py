@@ -13,9 +13,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from logspark.llm.langid import op10_language_id
     from logspark.llm.ngram_join import op3_ngram_join
     from logspark.llm.packing import op1_best_fit_packing
+    from logspark.llm.secret_scan import op4_secret_scan
     from logspark.llm.toxicity import op8_toxicity
 
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_ngram_join, op8_toxicity, op9_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_ngram_join, op4_secret_scan, op8_toxicity, op9_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
