@@ -157,7 +157,8 @@ class Model:
 
     def calibrate(self, texts: list[str], langs: list[str]) -> None:
         """Temperature of least log loss, and each language's limit of cross-entropy, from labelled texts."""
-        h, letters = self.cross_entropy(texts)
+        some = [self.cross_entropy(texts[k : k + 40]) for k in range(0, len(texts), 40)]  # few at once: bounded memory
+        h, letters = (np.concatenate(x) for x in zip(*some, strict=True))
         y = np.array([self.langs.index(x) for x in langs])
         ok = letters >= LEAST_LETTERS
         if not ok.any():
