@@ -4,8 +4,9 @@
    (a partial minimum before the shuffle, so a hot class costs a row a task).
 2. A count sketch over all shingles of all documents, of a size that follows their number up to ``MOST_BITS``, orders
    them rare first.  Any order gives exact results; this one keeps common shingles out of the prefixes.
-3. Documents are posted under their prefix shingles.  Each posting list links its members to its first one (a star, not
-   all pairs); candidates pass length, positional and suffix filters and are verified once per pair on their texts.
+3. Documents are posted under their prefix shingles.  Each posting list tries its members with one of them (a star, not
+   all pairs), first with the one that has the fewest rarer shingles, then, as long as that joins components, with
+   others by turns.  Candidates pass length, positional and suffix filters and are verified once per pair on texts.
 4. Posting lists whose members are then not all in one component give the pairs that still can matter: members of
    different components, by the same filters, verified once per pair.  Pairs left out can't change the components.
 
@@ -33,6 +34,8 @@ LEAST_BITS, MOST_BITS = 20, 26
 BLOCK_BITS = 14
 #: Hash ranges whose sizes bound an overlap (the suffix filter).
 RANGES = 64
+#: Turns in which posting lists try one of their members with the others, before all pairs that still can matter.
+MOST_TURNS = 6
 #: Ids of candidates that are broadcast to the scan of texts; more are joined by a shuffle.
 MOST_BROADCAST_IDS = 1_000_000
 _SALT = np.uint64(0xA5A5A5A55A5A5A5A)
@@ -130,15 +133,21 @@ def _may_link(n: Column, m: Column, i: Column, j: Column, num: int, den: int) ->
 def _verified(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, np.zeros(0, np.uint64)
+        known: dict[int, np.ndarray] = {}  # sets of texts seen lately
         for b in batches:
             a, c = b.column(0).to_pylist(), b.column(1).to_pylist()
-            left = b.column(2).cast(pa.binary())
+            left, right = b.column(2).cast(pa.binary()), b.column(3).cast(pa.binary())
             ok = np.zeros(len(a), bool)
             for lo, hi in chunks(b.column(3)):
-                others = sets_of(b.column(3).slice(lo, hi - lo).cast(pa.binary()).to_pylist(), size)
-                for k, s in zip(range(lo, hi), others, strict=True):
+                if len(known) > 2000:
+                    known.clear()
+                new = [k for k in range(lo, hi) if c[k] not in known]
+                new = list({c[k]: k for k in new}.values())
+                known.update(zip([c[k] for k in new], sets_of([right[k].as_py() for k in new], size), strict=True))
+                for k in range(lo, hi):
                     if hub != a[k]:
                         hub, own = a[k], sets_of([left[k].as_py()], size)[0]
+                    s = known[c[k]]
                     both = len(np.intersect1d(own, s, assume_unique=True))
                     ok[k] = den * both >= num * (len(own) + len(s) - both)
             if ok.any():
@@ -162,39 +171,56 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, size: int
     rank = spark.sparkContext.broadcast(_sketch(texts.select("text"), size, bits))
 
     posted = known.mapInArrow(_postings(size, num, den, rank, bits), "h long, doc long, n int, pos int")
-    w = W.partitionBy("h").orderBy("doc").rowsBetween(W.unboundedPreceding, W.currentRow)
-    first = F.first(F.struct("doc", "n", "pos")).over(w)
-    nxt = F.lead("doc").over(W.partitionBy("h").orderBy("doc"))
-    lists = scratch.write(posted.select("h", "doc", "n", "pos", first.alias("f"), nxt.alias("nxt")).filter("doc <> f.doc or nxt is not null"), "lists")
-
+    w = W.partitionBy("h").orderBy("pos", "doc")
+    first = F.first(F.struct("doc", "n", "pos")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    lists = posted.select("h", "doc", "n", "pos", first.alias("f"), F.lead("doc").over(w).alias("nxt")).filter("doc <> f.doc or nxt is not null").drop("nxt")
+    lists = scratch.write(lists, "lists")
     star = lists.filter(F.col("doc") != F.col("f.doc")).filter(_may_link(F.col("n"), F.col("f.n"), F.col("pos"), F.col("f.pos"), num, den))
-    tried = scratch.write(_distinct(star.select(F.col("doc").alias("x"), F.col("f.doc").alias("y")), of, real, num, den), "tried1")
-    links = scratch.write(_links(tried, known, size, num, den), "links1")
+    pairs = star.select(F.col("doc").alias("x"), F.col("f.doc").alias("y")).distinct()
+    for side in ("x", "y"):  # documents to their classes
+        pairs = pairs.join(of.select(F.col("doc").alias(side), F.col("rep").alias(side + "r")), side)
+    pairs = pairs.filter("xr <> yr").select(F.least("xr", "yr").alias("a"), F.greatest("xr", "yr").alias("b")).distinct()
+    tried = scratch.write(_filtered(pairs, real, num, den), "tried0")
     same = of.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))  # rows of one id, different texts
-    root = components(links.union(same), scratch, "a")
-
-    # members of one list in different components
-    member = lists.select("h", "doc", "n", "pos").join(of.select("doc", "rep"), "doc").join(root, F.col("rep") == F.col("node"), "left").select("h", "rep", "n", "pos", F.coalesce("root", "rep").alias("c"))
-    member = scratch.write(member.groupBy("h", "rep", "n", "pos").agg(F.first("c").alias("c")), "member")
-    mixed = member.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
-    left = scratch.write(member.join(mixed, "h", "left_semi"), "left")
-    x, y = left.alias("x"), left.alias("y")
-    across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), num, den))
-    pairs = _filtered(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), real, num, den).join(tried, ["a", "b"], "left_anti")
-    more = scratch.write(_links(scratch.write(pairs, "tried2"), known, size, num, den), "links2")
-    root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch, "b")
-    scratch.drop("lists", "member", "left", "tried1", "tried2", "links1")
+    root = components(_links(tried, known, size, num, den).union(same), scratch, "a")
+    left = scratch.write(lists.select("h", "doc", "n", "pos").join(of.select("doc", "rep"), "doc").select("h", "rep", "n", "pos").distinct(), "left")
+    scratch.drop("lists")
+
+    turn = 0
+    while True:
+        turn += 1
+        member = left.join(root, F.col("rep") == F.col("node"), "left").select("h", "rep", "n", "pos", F.coalesce("root", "rep").alias("c"))
+        mixed = scratch.write(_mixed(member), f"mixed{turn}")
+        x, y = mixed.alias("x"), mixed.alias("y")
+        on = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), num, den)
+        if turn <= MOST_TURNS:  # one member of each list, another one each turn, with the rest of it
+            one = mixed.groupBy("h").agg(F.min_by(F.struct("rep", "n", "pos", "c"), F.xxhash64("rep", F.lit(turn))).alias("o")).select("h", "o.*")
+            across = x.join(one.alias("y"), on)
+        else:  # all that still can matter
+            across = x.join(y, on & (F.col("x.rep") < F.col("y.rep")))
+        pairs = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = scratch.write(_filtered(pairs, real, num, den), f"tried{turn}")
+        tried = tried.union(pairs)
+        links = scratch.write(_links(pairs, known, size, num, den), f"links{turn}")
+        some = not links.isEmpty()
+        if some:
+            root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), scratch, f"b{turn}")
+        scratch.drop(f"mixed{turn}", f"links{turn}")
+        if turn > MOST_TURNS:
+            break
+        if not some:
+            turn = MOST_TURNS
+    scratch.drop("left", *(f"tried{k}" for k in range(MOST_TURNS + 2)))
 
     found = of.join(root, F.col("rep") == F.col("node"), "left").select(F.col("doc").alias("d"), F.col("rep"), F.coalesce("root", "rep").alias("component"))
     out = sig.select("doc", "n").join(found, F.col("doc") == F.col("d"), "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), F.coalesce("rep", "doc").alias("class_id"))
 
 
-def _distinct(pairs: DataFrame, of: DataFrame, real: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of documents as distinct pairs of classes that pass the suffix filter."""
-    of = of.select("doc", "rep")
-    by = pairs.distinct().join(of.select(F.col("doc").alias("x"), F.col("rep").alias("p")), "x").join(of.select(F.col("doc").alias("y"), F.col("rep").alias("q")), "y")
-    return _filtered(by.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), real, num, den)
+def _mixed(member: DataFrame) -> DataFrame:
+    """Members of lists that hold more than one component."""
+    more = member.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
+    return member.join(more, "h", "left_semi")
 
 
 def _filtered(pairs: DataFrame, real: DataFrame, num: int, den: int) -> DataFrame:
