@@ -243,10 +243,17 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) ->
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs, all columns, that are the first of their component (and rows with a null id)."""
+    """The rows of docs, all columns, that are the first of their component (and rows with a null id).  Of rows with
+    the id and text of the first document only one stays."""
     found = similarity_classes(docs, id_col=id_col, **how)
-    first = found.filter(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
-    return docs.join(first, id_col, "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    gone = found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    few = gone.limit(MOST_BROADCAST_IDS + 1).count() <= MOST_BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
+    again = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(once)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
