@@ -4,7 +4,7 @@
    (a partial minimum before the shuffle, so a hot class costs a row a task).
 2. A count sketch over all shingles of all documents, of a size that follows their number up to ``MOST_BITS``, orders
    them rare first.  Any order gives exact results; this one keeps common shingles out of the prefixes.
-3. Documents are posted under their prefix shingles.  Each posting list tries its members with one of them (a star, not
+3. Documents are posted under their prefix shingles; of lists with equal members one stays.  Each posting list tries its members with one of them (a star, not
    all pairs), first with the one that has the fewest rarer shingles, then, as long as that joins components, with
    others by turns.  Candidates pass length, positional and suffix filters and are verified once per pair on texts.
 4. Posting lists whose members are then not all in one component give the pairs that still can matter: members of
@@ -163,9 +163,11 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, size: int
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sig = scratch.write(texts.mapInArrow(_signatures(size), "doc long, n long, s0 long, s1 long, parts array<short>"), "sig")
     real = sig.filter("n > 0 and doc is not null")
-    classes = scratch.write(real.groupBy("s0", "s1", "n").agg(F.min("doc").alias("rep")), "classes")
-    of = scratch.write(real.join(classes, ["s0", "s1", "n"]).groupBy("doc").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "of")
+    classes = scratch.write(real.groupBy("s0", "s1", "n").agg(F.min("doc").alias("rep"), F.first("parts").alias("parts")), "classes")
+    of = scratch.write(real.join(classes.drop("parts"), ["s0", "s1", "n"]).groupBy("doc").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "of")
     known = texts.filter("doc is not null")
+    if of.count() < real.count():  # rows of one id: each text of an id once
+        known = known.dropDuplicates(["doc", "text"])
     total = sig.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (total // 64).bit_length()))
     rank = spark.sparkContext.broadcast(_sketch(texts.select("text"), size, bits))
@@ -173,14 +175,21 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, size: int
     posted = known.mapInArrow(_postings(size, num, den, rank, bits), "h long, doc long, n int, pos int")
     w = W.partitionBy("h").orderBy("pos", "doc")
     first = F.first(F.struct("doc", "n", "pos")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    lists = posted.select("h", "doc", "n", "pos", first.alias("f"), F.lead("doc").over(w).alias("nxt")).filter("doc <> f.doc or nxt is not null").drop("nxt")
-    lists = scratch.write(lists, "lists")
+    whole = W.partitionBy("h")
+    seal = [F.bit_xor(F.xxhash64("doc", F.lit(k))).over(whole).alias(f"x{k}") for k in (1, 2)]
+    every = posted.select("h", "doc", "n", "pos", first.alias("f"), F.count("*").over(whole).alias("c"), *seal).filter("c > 1")
+    every = scratch.write(every, "every")
+    # lists of equal members tell the same: the one of the first shingle in the common order stays, whose positions are
+    # the least for all members, so the filters pass whatever they would pass for the others
+    best = every.filter("doc = f.doc").groupBy("c", "x1", "x2").agg(F.min_by("h", F.struct("pos", "h")).alias("h")).select("h")
+    lists = scratch.write(every.join(best, "h", "left_semi").select("h", "doc", "n", "pos", "f"), "lists")
+    scratch.drop("every")
     star = lists.filter(F.col("doc") != F.col("f.doc")).filter(_may_link(F.col("n"), F.col("f.n"), F.col("pos"), F.col("f.pos"), num, den))
     pairs = star.select(F.col("doc").alias("x"), F.col("f.doc").alias("y")).distinct()
     for side in ("x", "y"):  # documents to their classes
         pairs = pairs.join(of.select(F.col("doc").alias(side), F.col("rep").alias(side + "r")), side)
     pairs = pairs.filter("xr <> yr").select(F.least("xr", "yr").alias("a"), F.greatest("xr", "yr").alias("b")).distinct()
-    tried = scratch.write(_filtered(pairs, real, num, den), "tried0")
+    tried = scratch.write(_filtered(scratch.write(pairs, "raw0"), classes, num, den), "tried0")
     same = of.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))  # rows of one id, different texts
     root = components(_links(tried, known, size, num, den).union(same), scratch, "a")
     left = scratch.write(lists.select("h", "doc", "n", "pos").join(of.select("doc", "rep"), "doc").select("h", "rep", "n", "pos").distinct(), "left")
@@ -191,6 +200,7 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, size: int
         turn += 1
         member = left.join(root, F.col("rep") == F.col("node"), "left").select("h", "rep", "n", "pos", F.coalesce("root", "rep").alias("c"))
         mixed = scratch.write(_mixed(member), f"mixed{turn}")
+        left = mixed.drop("c")  # a list within one component stays so
         x, y = mixed.alias("x"), mixed.alias("y")
         on = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), num, den)
         if turn <= MOST_TURNS:  # one member of each list, another one each turn, with the rest of it
@@ -199,18 +209,18 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, size: int
         else:  # all that still can matter
             across = x.join(y, on & (F.col("x.rep") < F.col("y.rep")))
         pairs = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.write(_filtered(pairs, real, num, den), f"tried{turn}")
+        pairs = scratch.write(_filtered(scratch.write(pairs, f"raw{turn}"), classes, num, den), f"tried{turn}")
         tried = tried.union(pairs)
         links = scratch.write(_links(pairs, known, size, num, den), f"links{turn}")
         some = not links.isEmpty()
         if some:
             root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), scratch, f"b{turn}")
-        scratch.drop(f"mixed{turn}", f"links{turn}")
+        scratch.drop(f"links{turn}")
         if turn > MOST_TURNS:
             break
         if not some:
             turn = MOST_TURNS
-    scratch.drop("left", *(f"tried{k}" for k in range(MOST_TURNS + 2)))
+    scratch.drop("left", *(f"{name}{k}" for name in ("raw", "tried", "mixed") for k in range(MOST_TURNS + 2)))
 
     found = of.join(root, F.col("rep") == F.col("node"), "left").select(F.col("doc").alias("d"), F.col("rep"), F.coalesce("root", "rep").alias("component"))
     out = sig.select("doc", "n").join(found, F.col("doc") == F.col("d"), "left")
@@ -223,20 +233,26 @@ def _mixed(member: DataFrame) -> DataFrame:
     return member.join(more, "h", "left_semi")
 
 
-def _filtered(pairs: DataFrame, real: DataFrame, num: int, den: int) -> DataFrame:
+def _of_pairs(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in a pair.  Few ids are broadcast to the rows; more meet them by a shuffle."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    few = ids.limit(MOST_BROADCAST_IDS + 1).count() <= MOST_BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
+def _filtered(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Suffix filter: shingles of one hash range can only meet those of the same range."""
-    side = lambda i, k: real.groupBy(F.col("doc").alias(i)).agg(F.max_by(F.struct("n", "parts"), "n").alias(k))
+    some = _of_pairs(pairs, classes.select("rep", "n", "parts"), "rep")
+    side = lambda i, k: some.select(F.col("rep").alias(i), F.struct("n", "parts").alias(k))
     both = pairs.join(side("a", "k"), "a").join(side("b", "m"), "b")
-    bound = F.aggregate(F.zip_with("k.parts", "m.parts", lambda p, q: F.when((p == 32767) | (q == 32767), F.greatest(p, q)).otherwise(F.least(p, q)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+    bound = F.aggregate(F.zip_with("k.parts", "m.parts", lambda p, q: F.least(p, q).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
     capped = F.exists("k.parts", lambda p: p == 32767) | F.exists("m.parts", lambda p: p == 32767)
-    return both.filter(capped | (bound * (den + num) >= (F.col("k.n") + F.col("m.n")) * num)).select("a", "b")
+    return both.filter(capped | (bound * (den + num) >= (F.col("k.n") + F.col("m.n")) * num)).select("a", "b").distinct()
 
 
 def _links(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that hold on the texts; a's text travels once, b's with the pair."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    few = ids.limit(MOST_BROADCAST_IDS + 1).count() <= MOST_BROADCAST_IDS
-    some = texts.join(F.broadcast(ids) if few else ids, "doc", "left_semi").dropDuplicates(["doc", "text"])
+    some = _of_pairs(pairs, texts, "doc")
     a = some.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
     b = some.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_verified(size, num, den), "a long, b long").distinct()

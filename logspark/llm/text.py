@@ -63,7 +63,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def chunks(texts: pa.Array, max_bytes: int = 3_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: pa.Array, max_bytes: int = 1_500_000) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts together have about max_bytes (one row at least)."""
     import pyarrow.compute as pc
 
