@@ -25,4 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that SQL can express."""
-    return {}
+    from logspark.llm import ngram_join
+
+    return {"op3_ngram_join": ngram_join.ORACLE_SQL}

@@ -275,3 +275,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by links of Jaccard similarity 0.8 on five-word shingles."""
     return similarity_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: DuckDB SQL of the same rows.
+ORACLE_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+e AS (SELECT doc_id, unnest(g) AS x FROM s), n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b, k = na.n AND k = nb.n AS same FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+both_ways AS (SELECT a, b, same FROM l UNION ALL SELECT b, a, same FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, y.b FROM r JOIN both_ways y ON y.a = r.c)
+SELECT n.doc_id, n.n AS n_shingles, (SELECT min(c) FROM r WHERE r.doc_id = n.doc_id) AS component_id, least(n.doc_id, coalesce((SELECT min(b) FROM both_ways y WHERE y.a = n.doc_id AND same), n.doc_id)) AS class_id FROM n
+"""
