@@ -10,6 +10,8 @@ from logspark.sources.log_view import PART
 
 OK, OUT_OF_RANGE, UNKNOWN = 0, 1, 5
 RESPONSE_BYTES = 50 * 1024 * 1024
+#: The least size of a record: the header of an entry.
+LEAST_BYTES = 12
 
 
 def list_offsets(state: DataFrame) -> DataFrame:
@@ -35,9 +37,10 @@ def fetch(log: DataFrame, state: DataFrame, requests: DataFrame) -> DataFrame:
 
     A partition's rows stop when its byte budget is used up; its first row comes anyway.  The rest of the response
     budget is taken in request order: each partition gets what those before it left, one byte at least.  The running
-    sum is per request and partition, and a filter on offsets comes before it, so a scan reads only what is asked."""
+    sum is per request and partition, over no more records than the budget can hold: offsets are dense and a record
+    has ``LEAST_BYTES`` or more, so a request's window is bounded by its budget, not by the log."""
     asked = fetch_status(requests, state).filter("status = 0 and fetch_offset < high_watermark")
-    hits = log.join(asked.select("request_id", "ord", *PART, "fetch_offset", "partition_max_bytes", "max_bytes"), PART).filter("offset >= fetch_offset")
+    hits = log.join(asked.select("request_id", "ord", *PART, "fetch_offset", "partition_max_bytes", "max_bytes"), PART).filter(F.col("offset").between(F.col("fetch_offset"), F.col("fetch_offset") + F.floor(F.greatest("partition_max_bytes", F.lit(0)) / LEAST_BYTES)))
     w = W.partitionBy("request_id", "ord").orderBy("offset")
     hits = hits.withColumns({"_sum": F.sum("size").over(w), "_rn": F.row_number().over(w)}).filter("_sum <= partition_max_bytes or _rn = 1")
     used = hits.groupBy("request_id", "ord", F.coalesce("max_bytes", F.lit(RESPONSE_BYTES)).alias("_m")).agg(F.collect_list(F.struct("_rn", "_sum")).alias("rows"))
