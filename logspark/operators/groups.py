@@ -53,6 +53,12 @@ def assignment_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "key", "full_outer").filter(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def merge_positions(checkpoint: DataFrame, live: DataFrame) -> DataFrame:
+    """Positions of both; a live one wins."""
+    c, n = checkpoint.select(*KEY, F.col("offset").alias("_c")), live.select(*KEY, F.col("offset").alias("_n"))
+    return c.join(n, KEY, "full_outer").select(*KEY, F.coalesce("_n", "_c").alias("offset"))
+
+
 def list_groups(members: DataFrame) -> DataFrame:
     """Groups with members or a protocol type."""
     g = members.groupBy("group_id").agg(F.count("member_id").alias("members"), F.max("protocol_type").alias("protocol_type"))

@@ -72,3 +72,25 @@ def idempotent_append(batches: DataFrame) -> DataFrame:
         return out.assign(topic=key[0], partition=key[1])[[c.split()[0] for c in APPENDED.split(", ")]]
 
     return batches.groupBy(*PART).applyInPandas(run, APPENDED)
+
+
+def allocate_producer_ids(table: str, n: int, spark: Any) -> list[int]:
+    """The next n producer ids; the new mark is written before they are given out, so none is given twice.
+
+    ``table`` is a folder of numbered marks with one writer, as ids come from one coordinator."""
+    last = 0
+    try:
+        last = spark.read.parquet(table).agg(F.max("next_id")).first()[0] or 0
+    except Exception as e:  # no mark yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    spark.range(1).select(F.lit(last + n).cast("long").alias("next_id")).write.mode("append").parquet(table)
+    return list(range(last, last + n))
+
+
+def recent_batches(batches: DataFrame, most: int = REMEMBERED) -> DataFrame:
+    """The last batches of each producer."""
+    from pyspark.sql import Window as W
+
+    rn = F.row_number().over(W.partitionBy("producer_id").orderBy(F.desc("base_seq")))
+    return batches.withColumn("_rn", rn).filter(F.col("_rn") <= most).drop("_rn")

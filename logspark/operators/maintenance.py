@@ -94,3 +94,37 @@ def reclaimable(orphans_: DataFrame, winners: DataFrame) -> DataFrame:
     """Orphans whose base an index entry covers: it is at or above the oldest one."""
     oldest = winners.groupBy(*PART).agg(F.min("base").alias("_o"))
     return orphans_.join(oldest, PART).filter("base >= _o").drop("_o")
+
+
+def quarantine_conflicts(quarantined: DataFrame, index: DataFrame) -> DataFrame:
+    """Objects set aside for deletion that the index still names: any row forbids the deletion."""
+    return quarantined.join(index, [*PART, "base", "epoch"], "left_semi")
+
+
+def readiness(agents: DataFrame, now: int, ttl: int) -> DataFrame:
+    """Whether each agent's record was renewed within the time to live and has not expired."""
+    return agents.select("agent", ((F.col("updated_at") + ttl > now) & (F.col("expires_at") > now)).alias("ready"))
+
+
+CLAIMED = "topic string, partition int, seq long, agent string, result string, epoch long"
+
+
+def replay_claims(claims: DataFrame, ttl: int) -> DataFrame:
+    """Ordered claims (seq, at, topic, partition, agent, held_epoch): a free or expired partition goes to whoever asks, with
+    the next epoch; a live owner is refused to others, and to itself with an older epoch than the stored one."""
+
+    def run(key, pdf):
+        import pandas as pd
+
+        owner, epoch, until, rows = None, 0, -1, []
+        for c in pdf.sort_values("seq").itertuples():
+            live = owner is not None and until > c.at
+            if live and (owner != c.agent or c.held_epoch < epoch):
+                rows.append((*key, c.seq, c.agent, "refused", epoch))
+                continue
+            result = "renewed" if live else "claimed"
+            owner, epoch, until = c.agent, epoch if live else epoch + 1, c.at + ttl
+            rows.append((*key, c.seq, c.agent, result, epoch))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in CLAIMED.split(", ")])
+
+    return claims.groupBy(*PART).applyInPandas(run, CLAIMED)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,3 +70,37 @@ def sealed_islands(buckets_: DataFrame) -> DataFrame:
     new = F.when(F.lag("last_offset").over(w) + 1 == F.col("first"), 0).otherwise(1)
     run = F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))
     return buckets_.withColumn("_new", new).withColumn("island", run).groupBy(*PART, "island").agg(F.min("first").alias("first"), F.max("last_offset").alias("last"), F.count("*").alias("n")).drop("island")
+
+
+def time_ranges(log: DataFrame, rows: int = 64) -> DataFrame:
+    """First and last time and number of records of each segment."""
+    base = (F.floor(F.col("offset") / rows) * rows).cast("long")
+    return log.groupBy(*PART, base.alias("base")).agg(F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), F.count("*").alias("records"))
+
+
+def coverage_gaps(blocks: DataFrame, seconds: int, by: list[str] = PART) -> DataFrame:
+    """Stretches between blocks (min_time, max_time in seconds) longer than the limit."""
+    w = W.partitionBy(*by).orderBy("min_time", "max_time")
+    reach = F.max("max_time").over(w.rowsBetween(W.unboundedPreceding, 0))
+    return blocks.withColumns({"_to": F.lead("min_time").over(w), "_reach": reach}).filter(F.col("_to") - F.col("_reach") > seconds).select(*by, F.col("_reach").alias("gap_from"), F.col("_to").alias("gap_to"))
+
+
+def rolls(entries: DataFrame, cap: int) -> DataFrame:
+    """Segment base of each entry (offset, size): a new one begins before an entry if the one in use is over the cap.
+
+    The running size starts anew at each roll, which no window frame says, so a partition's entries, in order, are
+    streamed through a fold that holds two numbers a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, base, used = None, 0, 0
+        for b in batches:
+            out = []
+            for t, p, offset, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (t, p) != key or used > cap:
+                    key, base, used = (t, p), offset, 0
+                used += size
+                out.append(base)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.int64())], [*PART, "offset", "base"])
+
+    rows = entries.select(*PART, F.col("offset").cast("long"), F.col("size").cast("long"))
+    return rows.repartition(*PART).sortWithinPartitions(*PART, "offset").mapInArrow(run, "topic string, partition int, offset long, base long")

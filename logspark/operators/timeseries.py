@@ -85,3 +85,25 @@ def integrity(samples: DataFrame, points: Column) -> DataFrame:
     got = samples.groupBy("series").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     want = points * F.col("series") * 100 + points * (points - 1) / 2
     return got.select("series", "n", "total", ((F.col("n") == points) & (F.col("total") == want)).alias("intact"))
+
+
+def mean_from_counters(sums: DataFrame, counts: DataFrame, by: list[str] = ["series"]) -> DataFrame:  # noqa: B006
+    """Rise of the sum over rise of the count (kept from 0)."""
+    s = increase(sums, by).select(*by, F.col("increase").alias("_s"))
+    n = increase(counts, by).select(*by, F.col("increase").alias("_n"))
+    return s.join(n, by).select(*by, (F.col("_s") / F.greatest(F.col("_n").cast("double"), F.lit(1e-9))).alias("mean"))
+
+
+def used_share(available: DataFrame, size: DataFrame, by: list[str] = ["series"]) -> DataFrame:  # noqa: B006
+    """1 - available / size at each series' last samples."""
+    a, t = latest(available, by).select(*by, F.col("value").alias("_a")), latest(size, by).select(*by, F.col("value").alias("_t"))
+    return a.join(t, by).select(*by, (1 - F.col("_a") / F.col("_t")).alias("used"))
+
+
+def over_steps(samples: DataFrame, start: int, stop: int, step: int, lookback: int, by: list[str] = ["series"]) -> DataFrame:  # noqa: B006
+    """Count and sum of the samples in the lookback before each step: a sample goes to the steps it can count for (a
+    fixed number of them), so steps and samples are never paired."""
+    first = F.greatest(F.ceil((F.col("ts") - start) / step), F.lit(0))
+    last = F.least(F.floor((F.col("ts") + lookback - 1 - start) / step), F.lit((stop - start) // step))
+    to = samples.filter(F.col("ts") > start - lookback).filter(first <= last).withColumn("_k", F.explode(F.sequence(first, last)))
+    return to.groupBy(*by, (F.col("_k") * step + start).cast("long").alias("step")).agg(F.count("value").alias("count"), F.sum("value").alias("sum"))

@@ -498,3 +498,81 @@ def derived_node_id(spark: SparkSession, d: str) -> DataFrame:
 def ulid_time(spark: SparkSession, d: str) -> DataFrame:
     u = spark.sql("SELECT '01ARZ3NDEKTSV4RRFFQ69G5FAV' AS ulid")
     return u.select("ulid", scalar.ulid_millis(F.col("ulid")).alias("millis"))
+
+
+# more of the index, the store and series
+
+
+@query(f'WITH {LOG} SELECT topic, "partition", "offset" // 64 * 64 AS base, min("timestamp") AS first_ts, max("timestamp") AS last_ts, count(*) AS records FROM log GROUP BY ALL')
+def segment_time_range(spark: SparkSession, d: str) -> DataFrame:
+    return segments.time_ranges(_log(spark, d))
+
+
+BLOCKS = f"""{LOG}, blk AS (SELECT topic, "partition", "offset" // 16 AS b, CAST(floor(epoch(min("timestamp"))) AS BIGINT) AS min_time, CAST(floor(epoch(max("timestamp"))) AS BIGINT) AS max_time FROM log GROUP BY ALL)"""
+
+
+@query(f'WITH {BLOCKS}, x AS (SELECT *, lead(min_time) OVER w AS nx, max(max_time) OVER (w ROWS UNBOUNDED PRECEDING) AS reach FROM blk WINDOW w AS (PARTITION BY topic, "partition" ORDER BY min_time, max_time)) SELECT topic, "partition", reach AS gap_from, nx AS gap_to FROM x WHERE nx - reach > 60')
+def block_coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
+    b = segments.time_ranges(_log(spark, d), 16).select("topic", "partition", view.seconds("first_ts").alias("min_time"), view.seconds("last_ts").alias("max_time"))
+    return segments.coverage_gaps(b, 60)
+
+
+@query(f"""WITH RECURSIVE {LOG}, r AS (SELECT topic, "partition", "offset", "offset" AS base, size AS used FROM log WHERE "offset" = 0 UNION ALL SELECT l.topic, l."partition", l."offset", CASE WHEN r.used > 1500 THEN l."offset" ELSE r.base END, CASE WHEN r.used > 1500 THEN 0 ELSE r.used END + l.size FROM r JOIN log l ON l.topic = r.topic AND l."partition" = r."partition" AND l."offset" = r."offset" + 1 WHERE l.topic = 'click') SELECT topic, "partition", "offset", base FROM r WHERE topic = 'click'""")
+def segment_rolls(spark: SparkSession, d: str) -> DataFrame:
+    return segments.rolls(_log(spark, d).filter("topic = 'click'"), 1500)
+
+
+@query(f'WITH {STORE}, q AS (SELECT * FROM store WHERE base // 64 % 2 = 0) SELECT * FROM q SEMI JOIN live USING (topic, "partition", base, epoch)')
+def quarantine_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    stored, index = _store(spark, d)
+    return maintenance.quarantine_conflicts(stored.filter("(base div 64) % 2 = 0"), index)
+
+
+@query(f"WITH {_values('a', lit.AGENTS)} SELECT agent, updated_at + 60 > 150 AND expires_at > 150 AS ready FROM a")
+def readiness(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.readiness(_literal(spark, lit.AGENTS), 150, 60)
+
+
+@query(None)
+def ownership_claims(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.replay_claims(_literal(spark, lit.CLAIMS), 60)
+
+
+@query(f"""WITH {COMMITTED} SELECT group_id, topic, "partition", coalesce(n."offset", c."offset") AS "offset" FROM (SELECT * FROM commits WHERE commit_seq = 1) c FULL JOIN (SELECT * FROM positions WHERE group_id <> 'group-1') n USING (group_id, topic, "partition")""")
+def positions_merged(spark: SparkSession, d: str) -> DataFrame:
+    commits = view.committed(_log(spark, d))
+    return groups.merge_positions(commits.filter("commit_seq = 1"), groups.latest_commits(commits).filter("group_id <> 'group-1'"))
+
+
+@query("SELECT conv_id AS producer_id, turn AS base_seq FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5")
+def producer_recent_batches(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.recent_batches(spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("producer_id"), F.col("turn").alias("base_seq")))
+
+
+@query(f'WITH {LOG} SELECT topic, count(DISTINCT "partition") AS partitions, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes FROM log GROUP BY ALL')
+def topic_totals(spark: SparkSession, d: str) -> DataFrame:
+    return _log(spark, d).groupBy("topic").agg(F.count_distinct("partition").alias("partitions"), F.count("*").alias("records"), F.sum("size").alias("bytes"))
+
+
+@query(f'WITH {STATE} SELECT topic, "partition", log_end_offset - log_start_offset = (SELECT count(*) FROM log l WHERE l.topic = s.topic AND l."partition" = s."partition") AS complete FROM state s')
+def log_walk(spark: SparkSession, d: str) -> DataFrame:
+    log = _log(spark, d)
+    n = log.groupBy("topic", "partition").agg(F.count("*").alias("_n"))
+    return view.partition_state(log).join(n, view.PART).select("topic", "partition", (F.col("log_end_offset") - F.col("log_start_offset") == F.col("_n")).alias("complete"))
+
+
+@query("SELECT * FROM (VALUES ('c', 190.0::DOUBLE / 4), ('d', 3.0::DOUBLE / 1e-9)) AS t(series, mean)")
+def counter_mean(spark: SparkSession, d: str) -> DataFrame:
+    counts = view.values(spark, "('c',0,0),('c',60,4),('d',0,7),('d',60,7)", "series string, ts long, value long")
+    return timeseries.mean_from_counters(_literal(spark, lit.COUNTER), counts)
+
+
+@query("SELECT 'disk' AS series, 0.75::DOUBLE AS used")
+def used_share(spark: SparkSession, d: str) -> DataFrame:
+    rows = "series string, ts long, value long"
+    return timeseries.used_share(view.values(spark, "('disk',0,900),('disk',60,250)", rows), view.values(spark, "('disk',0,1000),('disk',60,1000)", rows))
+
+
+@query(f"WITH {_values('c', lit.COUNTER)}, g AS (SELECT unnest(range(0, 301, 60)) AS step) SELECT series, step, count(value) AS count, CAST(sum(value) AS BIGINT) AS sum FROM c JOIN g ON ts > step - 120 AND ts <= step GROUP BY ALL")
+def over_steps(spark: SparkSession, d: str) -> DataFrame:
+    return timeseries.over_steps(_literal(spark, lit.COUNTER), 0, 300, 60, 120)

@@ -23,3 +23,4 @@ REQUESTS = ("(1,1,'click',0,0,400,100000),(1,2,'click',1,5,1000000,100000),(2,1,
 KEYS = ("('a/0'),('a/1'),('b/0'),('group-000'),('group-001'),('orders/17'),('orders/18'),('x/1'),('x/2'),('x/3'),('group-002'),('group-003'),('group-017')", "key string")
 TOPIC_REQUESTS = ("('click',4),('fresh',3),('zero',0)", "topic string, partitions int")
 OFFSET_KEYS = ("('g/click/0'),('a/b/view/12'),('x/1'),('g/t/x')", "key string")
+CLAIMS = ("(1,0,'t',0,'a',0),(2,10,'t',0,'b',0),(3,20,'t',0,'a',1),(4,40,'t',0,'a',0),(5,100,'t',0,'b',0),(6,110,'t',0,'a',1),(7,0,'t',1,'c',0)", "seq long, at long, topic string, partition int, agent string, held_epoch long")

@@ -111,3 +111,15 @@ def test_no_rules_allow_all(spark):
     asked = spark.createDataFrame([(1, "x", "Read", "Topic", "t")], "request_id int, principal string, operation string, kind string, name string")
     rules = spark.createDataFrame([], "principal string, operation string, kind string, name string, permission string")
     assert authz.decisions(asked, rules).first().allowed
+
+
+def test_ownership_claims(spark, data):
+    got = {r.seq: (r.result, r.epoch) for r in QUERIES["ownership_claims"].run(spark, data).collect()}
+    assert got == {1: ("claimed", 1), 2: ("refused", 1), 3: ("renewed", 1), 4: ("refused", 1), 5: ("claimed", 2), 6: ("refused", 2), 7: ("claimed", 1)}
+
+
+def test_producer_ids_are_given_once(spark, tmp_path):
+    from logspark.operators.ingest import allocate_producer_ids
+
+    at = str(tmp_path / "ids")
+    assert allocate_producer_ids(at, 3, spark) + allocate_producer_ids(at, 2, spark) == [0, 1, 2, 3, 4]
