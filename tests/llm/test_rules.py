@@ -162,6 +162,19 @@ def test_forest_equals_spark_ml(spark, forest):
     assert sum((r.s >= 0.5) == (r.label == 1) for r in got) / len(got) > 0.95
 
 
+def test_long_secrets_are_taken_whole(spark, forest):
+    """Candidates run to the end of their tokens: length, digest and redaction cover all of a long value."""
+    long = "".join(hashlib.sha256(b"%d" % k).hexdigest() for k in range(5))
+    values = {800: long[:300], 801: long[:250] + "0" * 50, 802: long[:199] + "Zz/+" * 20_000}
+    docs = docs_frame(spark, [(d, f"password = {v} end") for d, v in values.items()] + [(810, f"see {long[:300]} there")])
+    got = {r.doc_id: r for r in secret_scan.scan(docs, forest).collect()}
+    for d, v in [*values.items(), (810, long[:300])]:
+        assert (got[d].length, got[d].value_sha256) == (len(v), hashlib.sha256(v.encode()).hexdigest())
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs, forest).collect()}
+    for d in values:
+        assert clean[d] == "password = [SECRET] end"
+
+
 def test_secret_plan_has_no_python(spark, forest):
     docs = docs_frame(spark, [(1, "x")])
     for df in (secret_scan.scan(docs, forest), secret_scan.redact(docs, forest)):
