@@ -9,6 +9,9 @@
    others by turns.  Candidates pass length, positional and suffix filters and are verified once per pair on texts.
 4. Posting lists whose members are then not all in one component give the pairs that still can matter: members of
    different components, by the same filters, verified once per pair.  Pairs left out can't change the components.
+5. For the number of links, which needs all pairs, each component's classes (every link is inside one) are dealt to
+   blocks and every two blocks are compared whole by a matrix product over the shingles they share; a block's classes
+   give their counts, so no pair becomes a row.
 
 Edge cases: null text, empty text or text without words has no shingles and links with nothing; fewer words than a
 shingle count as one; rows with a null id are returned with a null component; rows of one id are one document with
@@ -38,6 +41,8 @@ RANGES = 64
 MOST_TURNS = 6
 #: Ids of candidates that are broadcast to the scan of texts; more are joined by a shuffle.
 MOST_BROADCAST_IDS = 1_000_000
+#: Classes and shingles of a block of a component, about, and columns of a matrix product.
+BLOCK_CLASSES, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 2048
 _SALT = np.uint64(0xA5A5A5A55A5A5A5A)
 
 
@@ -156,8 +161,9 @@ def _verified(size: int, num: int, den: int):
     return run
 
 
-def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, size: int = 5, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """Per row of docs: id, n_shingles, component_id, class_id (smallest id with the same set)."""
+def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, size: int = 5, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, links: bool = False) -> DataFrame:
+    """Per row of docs: id, n_shingles, component_id, class_id (smallest id with the same set); with links also n_links,
+    the number of other documents it is similar to."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -224,7 +230,98 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, size: int
 
     found = of.join(root, F.col("rep") == F.col("node"), "left").select(F.col("doc").alias("d"), F.col("rep"), F.coalesce("root", "rep").alias("component"))
     out = sig.select("doc", "n").join(found, F.col("doc") == F.col("d"), "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), F.coalesce("rep", "doc").alias("class_id"))
+    cols = [F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), F.coalesce("rep", "doc").alias("class_id")]
+    if links:
+        inside = of.groupBy("rep").agg(F.count("*").alias("w"))
+        across = scratch.write(_across(root, classes, inside, known, size, num, den), "across")
+        n = inside.join(across, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("r"), (F.col("w") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        out = out.join(n, F.col("rep") == F.col("r"), "left")
+        cols.append(F.when(F.col("doc").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return out.select(*cols)
+
+
+def _across(root: DataFrame, classes: DataFrame, inside: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """node, linked: how many documents of other classes each class is linked to, of classes that share a component."""
+    member = root.select("node", "root").union(root.select(F.col("root").alias("node"), "root").distinct())
+    n = classes.groupBy("rep").agg(F.max("n").alias("n"))
+    member = member.join(n, F.col("node") == F.col("rep")).drop("rep").join(inside, F.col("node") == F.col("rep")).drop("rep")
+    blocks = member.groupBy(F.col("root").alias("r")).agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    member = member.join(blocks, F.col("root") == F.col("r")).select("node", "root", "w", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    held = texts.join(member, F.col("doc") == F.col("node"))
+    each = held.select("root", "own", "node", "w", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
+    key = ["root", "lo", "hi"]
+    each = each.select("root", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "node", "w", "text")
+    counts = each.repartition(*key).sortWithinPartitions(*key, "own", "node").mapInArrow(_counted(size, num, den), "node long, linked long")
+    return counts.groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Numbers of shingles that each set of a shares with each of b."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    flat = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b)]
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    shared = np.intersect1d(flat[0], flat[1])
+    if not len(shared):
+        return out
+    cells = []
+    for h, r in zip(flat, rows, strict=True):
+        c = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
+        keep = shared[c] == h
+        c, r = c[keep], r[keep]
+        order = np.argsort(c, kind="stable")
+        cells.append((c[order], r[order]))
+    for lo in range(0, len(shared), COLUMNS):
+        hi, sides = min(lo + COLUMNS, len(shared)), []
+        for (c, r), x in zip(cells, (a, b), strict=True):
+            i, j = np.searchsorted(c, [lo, hi])
+            m = np.zeros((len(x), hi - lo), np.float32)
+            m[r[i:j], c[i:j] - lo] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T  # whole numbers below 2**24 are exact
+    return out
+
+
+def _linked(a: list[np.ndarray], b: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which sets of a are similar to which of b."""
+    both = _common(a, b).astype(np.int64)
+    total = np.array([len(s) for s in a], np.int64)[:, None] + np.array([len(s) for s in b], np.int64)[None, :]
+    return den * both >= num * (total - both)
+
+
+def _counted(size: int, num: int, den: int):
+    """Counts of linked documents, from rows root, lo, hi, own, node, w, text in the order of the first five."""
+
+    def of_group(rows: list[tuple], lo: int, hi: int) -> pa.RecordBatch:
+        sets = sets_of([r[3] for r in rows], size)
+        own, node, w = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        first = own == lo
+        ia, ib = np.flatnonzero(first), np.flatnonzero(first if lo == hi else ~first)
+        if not len(ia) or not len(ib):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["node", "linked"])
+        hit = _linked([sets[i] for i in ia], [sets[i] for i in ib], num, den)
+        (na, fa), (nb, fb) = np.unique(node[ia], return_index=True), np.unique(node[ib], return_index=True)
+        # an id's texts are next to each other: any of them links
+        hit = np.logical_or.reduceat(np.logical_or.reduceat(hit, fa, axis=0), fb, axis=1)
+        hit &= na[:, None] != nb[None, :]
+        out = [(na, hit @ w[ib][fb])] + ([] if lo == hi else [(nb, w[ia][fa] @ hit)])
+        nodes, linked = (np.concatenate([x[k] for x in out]).astype(np.int64) for k in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(linked)], ["node", "linked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for b in batches:
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+            more = zip(*(b.column(k).to_pylist() for k in range(3, 6)), b.column(6).cast(pa.binary()).to_pylist(), strict=True)
+            for key, row in zip(keys, more, strict=True):
+                if key != at:
+                    if rows:
+                        yield of_group(rows, *at[1:])
+                    at, rows = key, []
+                rows.append(row)
+        if rows:
+            yield of_group(rows, *at[1:])
+
+    return run
 
 
 def _mixed(member: DataFrame) -> DataFrame:
@@ -277,6 +374,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3_ngram_join's rows with each document's number of links, over all pairs."""
+    return similarity_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), links=True)
+
+
 #: DuckDB SQL of the same rows.
 ORACLE_SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
@@ -288,3 +390,6 @@ both_ways AS (SELECT a, b, same FROM l UNION ALL SELECT b, a, same FROM l),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, y.b FROM r JOIN both_ways y ON y.a = r.c)
 SELECT n.doc_id, n.n AS n_shingles, (SELECT min(c) FROM r WHERE r.doc_id = n.doc_id) AS component_id, least(n.doc_id, coalesce((SELECT min(b) FROM both_ways y WHERE y.a = n.doc_id AND same), n.doc_id)) AS class_id FROM n
 """
+
+#: The same with the number of links.
+LINKS_SQL = ORACLE_SQL.rstrip().removesuffix(" FROM n") + ", (SELECT count(*) FROM both_ways y WHERE y.a = n.doc_id) AS n_links FROM n\n"

@@ -2,11 +2,14 @@
 
 import random
 
+import duckdb
+import pytest
+
 from logspark.llm import components as cc
 from logspark.llm import ngram_join
 from logspark.llm.shared import Scratch
 
-from .helpers import components, docs_frame, hard_texts
+from .helpers import WORD, components, docs_frame, hard_texts, lower
 
 
 def found(df):
@@ -53,6 +56,34 @@ def test_other_limits(spark):
     assert got == {(d, *v) for d, v in components(rows, 3, 50, 100).items()}
 
 
+def link_counts(rows, size=5, num=80, den=100):
+    """Brute force of the number of links (ids unique but for repeats of the same text)."""
+    grams = {}
+    for d, t in rows:
+        if d is not None:
+            w = WORD.findall(lower(t or ""))
+            grams[d] = {tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set()
+    return {d: sum(e != d and bool(g) and bool(h) and den * len(g & h) >= num * len(g | h) for e, h in grams.items()) for d, g in grams.items()}
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_numbers_of_links(spark, monkeypatch, block):
+    """Every link of a group counts, also those that no component needs; in one block and in several."""
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block)
+    words = [f"w{k}" for k in range(60)]
+    rows = hard_texts() + [(300 + k, " ".join([*words[:k], f"c{k}", *words[k + 1 :]])) for k in range(0, 60, 5)] + [(400, " ".join(words)), (401, " ".join(words))]
+    df = ngram_join.similarity_classes(docs_frame(spark, rows), links=True)
+    assert {r.doc_id: r.n_links for r in df.collect() if r.doc_id is not None} == link_counts(rows)
+    assert df.count() == len(rows) and [r.n_links for r in df.collect() if r.doc_id is None] == [None]
+
+
+def test_links_equal_sql(spark, data):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    got = sorted(tuple(r) for r in ngram_join.op3_ngram_links(spark, data).select("doc_id", "n_shingles", "component_id", "class_id", "n_links").collect())
+    assert got == sorted(con.execute(ngram_join.LINKS_SQL).fetchall())
+
+
 def test_empty(spark):
     assert ngram_join.similarity_classes(docs_frame(spark, [])).count() == 0
 
