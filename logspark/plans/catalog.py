@@ -171,6 +171,12 @@ def segment_floor_lookup(spark: SparkSession, d: str) -> DataFrame:
     return segments.floor_lookup(q, _live(spark, d))
 
 
+@query(f"""WITH {SEGMENTS}, q AS (SELECT topic, "partition", "offset" - 5 AS "offset" FROM log) SELECT q.topic, q."partition", q."offset", l.base, l.epoch FROM q ASOF LEFT JOIN live l ON q.topic = l.topic AND q."partition" = l."partition" AND q."offset" >= l.base""")
+def segment_floor_lookup_all(spark: SparkSession, d: str) -> DataFrame:
+    q = _log(spark, d).select("topic", "partition", (F.col("offset") - 5).alias("offset"))
+    return segments.floor_lookup(q, _live(spark, d))
+
+
 @query(f'WITH {BUCKETED} SELECT topic, "partition", bucket, min(base) AS "first", max(base) AS "last", CAST(sum(size) AS BIGINT) AS bytes, max(modified) AS newest, count(*) AS n FROM bucketed GROUP BY ALL')
 def bucket_summary(spark: SparkSession, d: str) -> DataFrame:
     return segments.buckets(_live(spark, d), 4)

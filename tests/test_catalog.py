@@ -123,3 +123,8 @@ def test_producer_ids_are_given_once(spark, tmp_path):
 
     at = str(tmp_path / "ids")
     assert allocate_producer_ids(at, 3, spark) + allocate_producer_ids(at, 2, spark) == [0, 1, 2, 3, 4]
+
+
+def test_floor_lookup_of_every_offset(spark, data):
+    got = QUERIES["segment_floor_lookup_all"].run(spark, data)
+    assert got.count() == spark.read.parquet(f"{data}/events.parquet").count()
