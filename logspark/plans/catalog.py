@@ -384,6 +384,13 @@ def offset_assignment(spark: SparkSession, d: str) -> DataFrame:
     return ingest.assign_offsets(arrivals, view.partition_state(log), ["seq"], F.lit(0)).select("topic", "partition", "offset")
 
 
+@query(f"""WITH {STATE} SELECT topic, "partition", log_end_offset + l."offset" AS "offset" FROM log l JOIN state USING (topic, "partition")""")
+def offset_assignment_all(spark: SparkSession, d: str) -> DataFrame:
+    log = _log(spark, d)
+    arrivals = log.select("topic", "partition", F.col("offset").alias("seq"))
+    return ingest.assign_offsets(arrivals, view.partition_state(log), ["seq"], F.floor(F.col("seq") / 4096)).select("topic", "partition", "offset")
+
+
 @query(None)
 def idempotent_append(spark: SparkSession, d: str) -> DataFrame:
     return ingest.idempotent_append(_literal(spark, lit.APPENDS))
@@ -470,6 +477,12 @@ def latest_sample(spark: SparkSession, d: str) -> DataFrame:
     return timeseries.latest(s, ["topic"])
 
 
+@query(f'WITH {LOG} SELECT topic, "partition", CAST(max("offset") AS BIGINT) AS value, CAST(floor(epoch(max("timestamp"))) AS BIGINT) AS ts FROM log GROUP BY ALL')
+def latest_sample_all(spark: SparkSession, d: str) -> DataFrame:
+    s = _log(spark, d).select("topic", "partition", view.seconds("timestamp").alias("ts"), F.col("offset").alias("value"))
+    return timeseries.latest(s, ["topic", "partition"])
+
+
 # scalars
 
 
@@ -528,6 +541,11 @@ def segment_rolls(spark: SparkSession, d: str) -> DataFrame:
     return segments.rolls(_log(spark, d).filter("topic = 'click'"), 1500)
 
 
+@query(None)
+def segment_rolls_all(spark: SparkSession, d: str) -> DataFrame:
+    return segments.rolls(_log(spark, d), 1500)
+
+
 @query(f'WITH {STORE}, q AS (SELECT * FROM store WHERE base // 64 % 2 = 0) SELECT * FROM q SEMI JOIN live USING (topic, "partition", base, epoch)')
 def quarantine_conflicts(spark: SparkSession, d: str) -> DataFrame:
     stored, index = _store(spark, d)

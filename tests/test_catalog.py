@@ -128,3 +128,22 @@ def test_producer_ids_are_given_once(spark, tmp_path):
 def test_floor_lookup_of_every_offset(spark, data):
     got = QUERIES["segment_floor_lookup_all"].run(spark, data)
     assert got.count() == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_rolls_of_every_topic(spark, data):
+    from logspark.sources.log_view import log_records
+
+    want, last, base, used = set(), None, 0, 0
+    for r in sorted(log_records(spark, data).select("topic", "partition", "offset", "size").collect()):
+        if (r.topic, r.partition) != last or used > 1500:
+            last, base, used = (r.topic, r.partition), r.offset, 0
+        used += r.size
+        want.add((r.topic, r.partition, r.offset, base))
+    got = [(r.topic, r.partition, r.offset, r.base) for r in QUERIES["segment_rolls_all"].run(spark, data).collect()]
+    assert len(got) == len(want) and set(got) == want and len({t for t, *_ in got}) > 1
+
+
+def test_whole_log_is_read(spark, data):
+    parts = {(r.topic, r.partition) for r in QUERIES["log_walk"].run(spark, data).collect()}
+    assert {(r.topic, r.partition) for r in QUERIES["latest_sample_all"].run(spark, data).collect()} == parts
+    assert QUERIES["offset_assignment_all"].run(spark, data).count() == spark.read.parquet(f"{data}/events.parquet").count()
