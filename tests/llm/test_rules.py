@@ -175,6 +175,18 @@ def test_long_secrets_are_taken_whole(spark, forest):
         assert clean[d] == "password = [SECRET] end"
 
 
+def test_known_prefixes_need_no_digit(spark, forest):
+    letters = "QWERTYUIOPASDFGHJKLZXCVBNMqwertyuiopasdfghjklzxcvbnm"
+    keys = [p + (letters[:16] if p in ("AKIA", "ASIA") else letters[:36]) for p in secret_scan.PREFIXES] + ["eyJ" + letters + "." + letters + "." + letters[::-1]]
+    docs = docs_frame(spark, [(d, f"use {k} now") for d, k in enumerate(keys)] + [(100, f"see path/{keys[0]} now"), (101, "AKIA ASIAN eyJa ghp_ of ASIAN_MARKET_REPORT words")])
+    got = {}
+    for r in secret_scan.scan(docs, forest).collect():
+        got.setdefault(r.doc_id, []).append((r.length, r.value_sha256, r.rule))
+    want = lambda k: [(len(k), hashlib.sha256(k.encode()).hexdigest(), "known shape")]
+    assert got == {d: want(k) for d, k in enumerate(keys)} | {100: want(keys[0])}
+    assert {r.doc_id: r.text for r in secret_scan.redact(docs, forest).collect()}[0] == "use [SECRET] now"
+
+
 def test_secret_plan_has_no_python(spark, forest):
     docs = docs_frame(spark, [(1, "x")])
     for df in (secret_scan.scan(docs, forest), secret_scan.redact(docs, forest)):
