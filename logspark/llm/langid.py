@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.llm.labelled import bounded, fold, held_out
+from logspark.llm.shared import lean, trim
 from logspark.llm.text import chunks, mix
 
 ORDER = 4
@@ -190,12 +191,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(total["lang"]), pa.array(total["key"].to_numpy(np.uint64).view(np.int64)), pa.array(total["n"].to_numpy(np.int64))], ["lang", "key", "n"])
 
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.select("lang", "text").mapInArrow(lean(count), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
     counted["key"] = counted["key"].to_numpy(np.int64).view(np.uint64)
     model = Model(counted, order)
     if model.langs:
         some = bounded(sample, "lang", "i", min(300, rows_per_language)).select("lang", "text").collect()
         model.calibrate([r[1] for r in some], [r[0] for r in some])
+        del some
+    del counted
+    trim()
     return model
 
 
@@ -211,7 +215,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], [id_col, "held_out", "lang_pred", "score", "rejected"])
 
     key = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, held_out(id_col).alias("held_out"), text_col).mapInArrow(run, f"{id_col} {key}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.select(id_col, held_out(id_col).alias("held_out"), text_col).mapInArrow(lean(run), f"{id_col} {key}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -225,7 +229,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
                 part = b.slice(lo, hi - lo)
                 yield part.filter(pa.array(~m.predict([t or "" for t in part.column(place).to_pylist()])[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logspark.llm.components import components
-from logspark.llm.shared import Scratch
+from logspark.llm.shared import Scratch, lean
 from logspark.llm.text import LOWER, chunks, mix, shingles, words_of
 
 #: Counters of the sketch: about one for 64 shingles, between these powers of two (a byte each once ranked).
@@ -80,7 +80,8 @@ def _sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
         total = np.zeros(1 << bits, np.uint32)
         for _, sets in _each(batches, size):
             if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                cell, n = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
+                total[cell] += n.astype(np.uint32)
         if total.any():
             for k in range(0, 1 << bits, block):
                 planes = total[k : k + block].view(np.uint8).reshape(-1, 4).T.tobytes()  # high bytes are zeros, which compress
@@ -97,7 +98,7 @@ def _sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([rank.tobytes()], pa.binary())], ["block", "counts"])
 
     parts = max(8, 1 << max(0, bits - 18))
-    rows = docs.select(F.lit(0), "text").mapInArrow(count, "block int, counts binary").repartition(parts, "block").mapInArrow(add, "block int, counts binary").collect()
+    rows = docs.select(F.lit(0), "text").mapInArrow(lean(count), "block int, counts binary").repartition(parts, "block").mapInArrow(lean(add), "block int, counts binary").collect()
     out = np.zeros(1 << bits, np.uint8)
     for k, ranks in rows:
         out[k * block : (k + 1) * block] = np.frombuffer(ranks, np.uint8)
@@ -167,7 +168,7 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, size: int
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    sig = scratch.write(texts.mapInArrow(_signatures(size), "doc long, n long, s0 long, s1 long, parts array<short>"), "sig")
+    sig = scratch.write(texts.mapInArrow(lean(_signatures(size)), "doc long, n long, s0 long, s1 long, parts array<short>"), "sig")
     real = sig.filter("n > 0 and doc is not null")
     classes = scratch.write(real.groupBy("s0", "s1", "n").agg(F.min("doc").alias("rep"), F.first("parts").alias("parts")), "classes")
     of = scratch.write(real.join(classes.drop("parts"), ["s0", "s1", "n"]).groupBy("doc").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "of")
@@ -178,13 +179,14 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, size: int
     bits = min(MOST_BITS, max(LEAST_BITS, (total // 64).bit_length()))
     rank = spark.sparkContext.broadcast(_sketch(texts.select("text"), size, bits))
 
-    posted = known.mapInArrow(_postings(size, num, den, rank, bits), "h long, doc long, n int, pos int")
+    posted = known.mapInArrow(lean(_postings(size, num, den, rank, bits)), "h long, doc long, n int, pos int")
     w = W.partitionBy("h").orderBy("pos", "doc")
     first = F.first(F.struct("doc", "n", "pos")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
     whole = W.partitionBy("h")
     seal = [F.bit_xor(F.xxhash64("doc", F.lit(k))).over(whole).alias(f"x{k}") for k in (1, 2)]
     every = posted.select("h", "doc", "n", "pos", first.alias("f"), F.count("*").over(whole).alias("c"), *seal).filter("c > 1")
     every = scratch.write(every, "every")
+    rank.destroy()
     # lists of equal members tell the same: the one of the first shingle in the common order stays, whose positions are
     # the least for all members, so the filters pass whatever they would pass for the others
     best = every.filter("doc = f.doc").groupBy("c", "x1", "x2").agg(F.min_by("h", F.struct("pos", "h")).alias("h")).select("h")
@@ -251,7 +253,7 @@ def _across(root: DataFrame, classes: DataFrame, inside: DataFrame, texts: DataF
     each = held.select("root", "own", "node", "w", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
     key = ["root", "lo", "hi"]
     each = each.select("root", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "node", "w", "text")
-    counts = each.repartition(*key).sortWithinPartitions(*key, "own", "node").mapInArrow(_counted(size, num, den), "node long, linked long")
+    counts = each.repartition(*key).sortWithinPartitions(*key, "own", "node").mapInArrow(lean(_counted(size, num, den)), "node long, linked long")
     return counts.groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
@@ -352,7 +354,7 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) ->
     some = _of_pairs(pairs, texts, "doc")
     a = some.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
     b = some.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_verified(size, num, den), "a long, b long").distinct()
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(lean(_verified(size, num, den)), "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from logspark.llm.bpe import Encoder, Vocabulary, default_vocabulary
+from logspark.llm.shared import lean
 from logspark.llm.text import chunks
 
 #: Open sequences of a task.
@@ -117,7 +118,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_token: int = 2, open_bins: i
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, fields + (", ids array<int>" if keep_ids else ""))
+    return docs.select(id_col, text_col).mapInArrow(lean(run), fields + (", ids array<int>" if keep_ids else ""))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.llm.labelled import bounded, fold, held_out
+from logspark.llm.shared import lean, trim
 from logspark.llm.text import chunks
 
 ROWS_PER_CLASS = 4000
@@ -229,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size = {bool(r[0]): r[1] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = size.get(True, 0), size.get(False, 0)
     least = max(5, math.ceil(0.005 * toxic))
-    counted = rows.mapInArrow(_word_counts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = rows.mapInArrow(lean(_word_counts), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ranked = counted.filter((F.col("toxic") >= 2) & (F.col("clean") * 20 * max(toxic, 1) <= F.col("toxic") * max(clean, 1))).orderBy(F.desc("toxic"), "word").limit(MOST_WORDS).collect()
     words = [r[0] for r in ranked if r[1] >= least]
     stems: dict[str, list[int]] = {}
@@ -243,6 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lexicon = Lexicon(words, good)
     counts = _evidence(rows, lexicon)
     rows.unpersist()
+    trim()
 
     ratio = lambda t, c, half: math.log((t + half) / (toxic + 2 * half)) - math.log((c + half) / (clean + 2 * half))
     weight = np.zeros((len(lexicon.entries), 4))
@@ -277,7 +279,9 @@ def _entries_by_row(rows: DataFrame, words: set[str], stems: set[str]) -> list[t
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([bool(toxic)]), pa.array([sorted(found)], pa.list_(pa.string()))], ["y", "found"])
 
-    return [(r[0], r[1]) for r in rows.select("toxic", "text").mapInArrow(run, "y boolean, found array<string>").collect()]
+    got = rows.select("toxic", "text").mapInArrow(lean(run), "y boolean, found array<string>").collect()
+    held.destroy()
+    return [(r[0], r[1]) for r in got]
 
 
 def _cover(rows: list[tuple[bool, list[str]]], least: int, common: float, toxic: int, clean: int) -> tuple[list[str], list[str]]:
@@ -317,7 +321,8 @@ def _evidence(rows: DataFrame, lexicon: Lexicon) -> dict[tuple[bool, int, int],
             y, e, k = zip(*total, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(e, pa.int64()), pa.array(k, pa.int64()), pa.array(total.values(), pa.int64())], ["y", "e", "k", "n"])
 
-    got = rows.select("toxic", "text").mapInArrow(run, "y boolean, e long, k long, n long").groupBy("y", "e", "k").agg(F.sum("n")).collect()
+    got = rows.select("toxic", "text").mapInArrow(lean(run), "y boolean, e long, k long, n long").groupBy("y", "e", "k").agg(F.sum("n")).collect()
+    held.destroy()
     return {(r[0], r[1], r[2]): r[3] for r in got}
 
 
@@ -332,7 +337,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     key = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, held_out(id_col).alias("held_out"), text_col).mapInArrow(run, f"{id_col} {key}, held_out boolean, score double, predicted int")
+    return docs.select(id_col, held_out(id_col).alias("held_out"), text_col).mapInArrow(lean(run), f"{id_col} {key}, held_out boolean, score double, predicted int")
 
 
 def keep_civil(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -345,7 +350,7 @@ def keep_civil(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
                 part = b.slice(lo, hi - lo)
                 yield part.filter(pa.array(held.value.scores([t or "" for t in part.column(place).to_pylist()]) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
