@@ -1,6 +1,7 @@
 """Operators 2, 4, 5, 6 and 7 against brute force, round trips and fixtures."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -231,3 +232,19 @@ def test_tensors_are_fixed_shape():
     t, span = media.tensors(mel)
     assert t.type.shape == [media.TENSOR, media.MELS] and len(t) == len(span) == -(-len(mel) // media.TENSOR)
     assert np.allclose(t.to_numpy_ndarray().reshape(-1, media.MELS)[: len(mel)], mel)
+
+
+def test_long_secrets_and_late_digits_are_redacted_whole(spark, forest):
+    """A 5,000-character password, and a token whose first digit is its 80th character; columns of the steps' names stay."""
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    password = "".join(r.choice(letters + "0123456789") for _ in range(5000))
+    late = "".join(r.choice(letters) for _ in range(79)) + "7" + "".join(r.choice(letters + "0123456789") for _ in range(40))
+    rows = [(1, f"password={password} end"), (2, f"api_key: {late} end"), (3, f"see {late} end"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(d, t, "own", "own", "own") for d, t in rows], "doc_id long, text string, _gaps string, _values string, __findings string")
+    out = {x.doc_id: x for x in secret_scan.redact(docs, forest).collect()}
+    assert out[1].text == "password=[SECRET] end" and out[2].text == "api_key: [SECRET] end"
+    assert out[4].text is None and out[5].text == ""
+    assert all((x._gaps, x._values, x["__findings"]) == ("own", "own", "own") for x in out.values())
+    found = {(x.doc_id, x.start, x.length) for x in secret_scan.scan(docs, forest).collect()}
+    assert {(1, 9, 5000), (2, 9, 120), (3, 4, 120)} <= found
