@@ -82,6 +82,8 @@ class Model:
         self.temperature, self.limit = 1.0, np.full(len(self.langs), np.inf)
         symbols_ = np.unique(counts["key"].to_numpy(np.uint64) & np.uint64(0xFFFF))
         self.size = len(symbols_) + 1
+        #: letters that no language shows share one place
+        self.symbols, self.shared = symbols_, np.log(max(1, len(np.unique(_folded())) - len(symbols_)))
         per = [self._fit(g["key"].to_numpy(np.uint64), g["n"].to_numpy(np.float64)) for _, g in counts.groupby("lang", sort=True)]
         for k in range(order):
             for made, side in ((self.gram, 0), (self.context, 1)):
@@ -127,6 +129,7 @@ class Model:
             g = self._find(gh, mix(key))
             own = np.where(g[:, None] >= 0, gt[g], np.nan)
             got = np.where(np.isnan(own), got + back, own)
+        got = got - np.where(self._find(self.symbols, keys & np.uint64(0xFFFF)) >= 0, 0, self.shared)[:, None]
         return got.astype(np.float32)
 
     @staticmethod
