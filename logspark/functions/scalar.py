@@ -7,9 +7,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-# Units of byte sizes and of durations (milliseconds).
-BYTES = {"": 1, "K": 10**3, "M": 10**6, "G": 10**9, "T": 10**12, "KI": 2**10, "MI": 2**20, "GI": 2**30, "TI": 2**40}
-MILLIS = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000}
+# Units of byte sizes and of durations (milliseconds; nanoseconds).
+BYTES = {"": 1, "K": 10**3, "M": 10**6, "G": 10**9, "T": 10**12, "P": 10**15, "KI": 2**10, "MI": 2**20, "GI": 2**30, "TI": 2**40, "PI": 2**50}
+NANOS = {"ns": 1, "us": 1000, "\u00b5s": 1000, "\u03bcs": 1000, "ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9, "d": 86_400 * 10**9, "w": 604_800 * 10**9}
 FNV32, FNV32_PRIME = 2166136261, 16777619
 FNV64, FNV64_PRIME = 14695981039346656037, 1099511628211
 CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
@@ -20,21 +20,26 @@ def _map(table: dict[str, int]) -> Column:
 
 
 def parse_byte_size(text: Column) -> Column:
-    """Bytes of 30G, 1.5GiB, -1 (a sign only without a unit, three decimals at most); else null."""
-    t = F.trim(text)
-    m = lambda k: F.regexp_extract(t, r"^(\d+)(?:\.(\d{1,3}))?(?i:(k|m|g|t|ki|mi|gi|ti)?b?)$", k)
-    plain = F.when(t.rlike(r"^-?\d{1,18}$"), t.try_cast("long"))
-    scaled = F.element_at(_map(BYTES), F.upper(m(3)))
-    size = m(1).try_cast("long") * scaled + F.floor(F.rpad(m(2), 3, "0").try_cast("long") * scaled / 1000)
-    return F.coalesce(plain, F.when(m(1) != "", size)).cast("long")
+    """Bytes of 30G, 1.5GiB, -1, +5b; decimals count to the third, a minus sign only without a unit; else null, also for
+    what 64 bits can't hold."""
+    m = lambda k: F.regexp_extract(text, r"^\s*([+-]?)(\d+)(?:\.(\d+))?(?i:(k|m|g|t|p|ki|mi|gi|ti|pi)?b?)\s*$", k)
+    scaled = F.element_at(_map(BYTES), F.upper(m(4)))
+    part = F.call_function("div", F.rpad(F.left(m(3), F.lit(3)), 3, "0").try_cast("long") * scaled, F.lit(1000))
+    size = F.try_add(F.try_multiply(m(2).try_cast("long"), scaled), part)
+    return F.when((m(1) == "-") & (scaled == 1), -size).when((m(1) != "-") & (m(2) != ""), size).cast("long")
 
 
 def parse_duration(text: Column) -> Column:
-    """Milliseconds of 7d, 1.5d, 90m, 500ms; a bare number counts as milliseconds; else null."""
-    t = F.trim(text)
-    m = lambda k: F.regexp_extract(t, r"^(\d+(?:\.\d+)?)(ms|s|m|h|d|w)$", k)
-    unit = F.element_at(_map(MILLIS), m(2))
-    return F.when(t.rlike(r"^\d{1,18}$"), t.try_cast("long")).when(m(1) != "", F.round(m(1).try_cast("double") * unit).cast("long"))
+    """Milliseconds (rounded) of 7d, 1.5w, or of 90m, 1h30m, 500ms, 10us; a bare number counts as milliseconds; letters
+    in either case; else null, also for more nanoseconds than 64 bits hold."""
+    t = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    term = r"(\d+\.?\d*|\.\d+)(ns|us|\u00b5s|\u03bcs|ms|s|m|h)"
+    days = r"^(\d+\.?\d*|\.\d+)([dw])$"
+    of = lambda pattern: F.zip_with(F.regexp_extract_all(t, F.lit(pattern), 1), F.regexp_extract_all(t, F.lit(pattern), 2), lambda n, u: n.try_cast("double") * F.element_at(_map(NANOS), u))
+    total = lambda parts: F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+    nanos = F.when(t.rlike(days), total(of(days))).when(t.rlike(f"^(?:{term})+$"), total(of(term)))
+    bare = t.try_cast("long")
+    return F.when(t.rlike(r"^\+?\d+$"), F.when(bare <= (2**63 - 1) // 10**6, bare)).when(nanos < float(2**63), F.round(nanos / 1e6).cast("long"))
 
 
 def segment_name(base: Column, epoch: Column) -> Column:

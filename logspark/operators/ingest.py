@@ -37,7 +37,7 @@ class Producer:
         if epoch > self.epoch:
             return ("append", -1) if seq == 0 else ("out of order", -1)
         if seq < self.next_seq:
-            at = next((o for s, m, o in self.recent if s == seq and m == n), -1)
+            at = next((o for s, _, o in self.recent if s == seq), -1)
             return ("duplicate", at) if at >= 0 else ("duplicate outside window", -1)
         return ("append", -1) if seq == self.next_seq else ("out of order", -1)
 

@@ -35,15 +35,18 @@ def fetch_status(requests: DataFrame, state: DataFrame) -> DataFrame:
 def fetch(log: DataFrame, state: DataFrame, requests: DataFrame) -> DataFrame:
     """Records for (request_id, ord, topic, partition, fetch_offset, partition_max_bytes, max_bytes).
 
+    A null or non-positive max_bytes stands for the default budget, such a partition_max_bytes for all that is left of it.
     A partition's rows stop when its byte budget is used up; its first row comes anyway.  The rest of the response
     budget is taken in request order: each partition gets what those before it left, one byte at least.  The running
     sum is per request and partition, over no more records than the budget can hold: offsets are dense and a record
     has ``LEAST_BYTES`` or more, so a request's window is bounded by its budget, not by the log."""
-    asked = fetch_status(requests, state).filter("status = 0 and fetch_offset < high_watermark")
-    hits = log.join(asked.select("request_id", "ord", *PART, "fetch_offset", "partition_max_bytes", "max_bytes"), PART).filter(F.col("offset").between(F.col("fetch_offset"), F.col("fetch_offset") + F.floor(F.greatest("partition_max_bytes", F.lit(0)) / LEAST_BYTES)))
+    whole = F.when(F.col("max_bytes") > 0, F.col("max_bytes")).otherwise(F.lit(RESPONSE_BYTES)).cast("long")
+    asked = fetch_status(requests, state).filter("status = 0 and fetch_offset < high_watermark").withColumn("max_bytes", whole)
+    asked = asked.withColumn("partition_max_bytes", F.least(F.when(F.col("partition_max_bytes") > 0, F.col("partition_max_bytes")).cast("long"), "max_bytes"))
+    hits = log.join(asked.select("request_id", "ord", *PART, "fetch_offset", "partition_max_bytes", "max_bytes"), PART).filter(F.col("offset").between(F.col("fetch_offset"), F.col("fetch_offset") + F.floor(F.col("partition_max_bytes") / LEAST_BYTES)))
     w = W.partitionBy("request_id", "ord").orderBy("offset")
     hits = hits.withColumns({"_sum": F.sum("size").over(w), "_rn": F.row_number().over(w)}).filter("_sum <= partition_max_bytes or _rn = 1")
-    used = hits.groupBy("request_id", "ord", F.coalesce("max_bytes", F.lit(RESPONSE_BYTES)).alias("_m")).agg(F.collect_list(F.struct("_rn", "_sum")).alias("rows"))
+    used = hits.groupBy("request_id", "ord", F.col("max_bytes").alias("_m")).agg(F.collect_list(F.struct("_rn", "_sum")).alias("rows"))
     # what is left for a partition depends on what was returned before it: an ordered fold over one request's partitions
     folded = used.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("ord", "_m", F.array_sort("rows").alias("rows")))).alias("parts"))
     start = F.struct(F.lit(None).cast("long").alias("left"), F.array().cast("array<struct<ord:int,n:int>>").alias("take"))

@@ -147,3 +147,35 @@ def test_whole_log_is_read(spark, data):
     parts = {(r.topic, r.partition) for r in QUERIES["log_walk"].run(spark, data).collect()}
     assert {(r.topic, r.partition) for r in QUERIES["latest_sample_all"].run(spark, data).collect()} == parts
     assert QUERIES["offset_assignment_all"].run(spark, data).count() == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_sizes_and_durations_of_every_form(spark):
+    """Values worked out by hand: long fractions, signs, large units, overflow; several terms, upper case, microseconds."""
+    from pyspark.sql import functions as F
+
+    from logspark.functions import scalar
+
+    sizes = {"1.23456K": 1234, "2P": 2 * 10**15, "1PiB": 2**50, "+5": 5, "-5b": -5, "-5K": None, "9999999999G": None, "9223372036854775808": None, "-1.5": -1, "1.": None}
+    spans = {"1h30m": 5_400_000, "7D": 604_800_000, "10us": 0, "1500us": 2, "+5": 5, "1d12h": None, ".5s": 500, "99999999999w": None, "99999999999999999999": None}
+    for values, f in ((sizes, scalar.parse_byte_size), (spans, scalar.parse_duration)):
+        rows = spark.createDataFrame([(x,) for x in values], "t string").select("t", f(F.col("t")).alias("v")).collect()
+        assert {r.t: r.v for r in rows} == values
+
+
+def test_retry_is_known_by_its_first_sequence():
+    from logspark.operators.ingest import Producer
+
+    p = Producer()
+    p.note(0, 0, 3, 100)
+    assert p.check(0, 0, 2) == ("duplicate", 100)
+
+
+def test_budgets_that_are_not_positive_stand_for_the_default(spark):
+    from logspark.operators import scan
+
+    log = spark.createDataFrame([("t", 0, k, "k", "v", 100) for k in range(20)], "topic string, partition int, offset long, key string, value string, size int")
+    state = spark.createDataFrame([("t", 0, 0, 20)], "topic string, partition int, log_start_offset long, high_watermark long")
+    asked = [(1, 1, "t", 0, 0, 0, 0), (2, 1, "t", 0, 0, -1, 550), (3, 1, "t", 0, 0, 250, -1), (4, 1, "t", 0, 0, None, None)]
+    requests = spark.createDataFrame(asked, "request_id int, ord int, topic string, partition int, fetch_offset long, partition_max_bytes int, max_bytes int")
+    got = {r.request_id: r["count"] for r in scan.fetch(log, state, requests).groupBy("request_id").count().collect()}
+    assert got == {1: 20, 2: 5, 3: 2, 4: 20}
