@@ -15,7 +15,8 @@
 
 Edge cases: null text, empty text or text without words has no shingles and links with nothing; fewer words than a
 shingle count as one; rows with a null id are returned with a null component; rows of one id are one document with
-links of each; repeated rows come back each; an empty table gives no rows; other columns are not read.
+links of each of its texts (its number of links is then the sum over its different sets, each of which counts as a
+document); repeated rows come back each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -171,10 +172,12 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, size: int
     sig = scratch.write(texts.mapInArrow(lean(_signatures(size)), "doc long, n long, s0 long, s1 long, parts array<short>"), "sig")
     real = sig.filter("n > 0 and doc is not null")
     classes = scratch.write(real.groupBy("s0", "s1", "n").agg(F.min("doc").alias("rep"), F.first("parts").alias("parts")), "classes")
-    of = scratch.write(real.join(classes.drop("parts"), ["s0", "s1", "n"]).groupBy("doc").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "of")
+    of = scratch.write(real.join(classes.drop("parts"), ["s0", "s1", "n"]).groupBy("doc").agg(F.min("rep").alias("rep"), F.countDistinct("s0", "s1", "n").alias("sets")), "of")
     known = texts.filter("doc is not null")
-    if of.count() < real.count():  # rows of one id: each text of an id once
-        known = known.dropDuplicates(["doc", "text"])
+    if not of.filter("sets > 1").isEmpty():
+        return _several_texts(texts, sig, num, den, size, id_col, scratch, links)
+    if of.count() < real.count():  # rows of one id have one set: one of its texts is enough
+        known = scratch.write(known.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).dropDuplicates(["doc"]), "known")
     total = sig.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (total // 64).bit_length()))
     rank = spark.sparkContext.broadcast(_sketch(texts.select("text"), size, bits))
@@ -198,8 +201,7 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, size: int
         pairs = pairs.join(of.select(F.col("doc").alias(side), F.col("rep").alias(side + "r")), side)
     pairs = pairs.filter("xr <> yr").select(F.least("xr", "yr").alias("a"), F.greatest("xr", "yr").alias("b")).distinct()
     tried = scratch.write(_filtered(scratch.write(pairs, "raw0"), classes, num, den), "tried0")
-    same = of.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))  # rows of one id, different texts
-    root = components(_links(tried, known, size, num, den).union(same), scratch, "a")
+    root = components(_links(tried, known, size, num, den), scratch, "a")
     left = scratch.write(lists.select("h", "doc", "n", "pos").join(of.select("doc", "rep"), "doc").select("h", "rep", "n", "pos").distinct(), "left")
     scratch.drop("lists")
 
@@ -242,6 +244,24 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, size: int
     return out.select(*cols)
 
 
+def _several_texts(texts: DataFrame, sig: DataFrame, num: int, den: int, size: int, id_col: str, scratch: Scratch, links: bool) -> DataFrame:
+    """similarity_classes where an id has texts of different sets: each set of an id is compared as a document of its
+    own, then an id's sets are one."""
+    every = texts.filter("doc is not null").dropDuplicates(["doc", "text"])
+    every = scratch.write(every.select(F.monotonically_increasing_id().alias("unit"), "doc", "text"), "every_text")
+    set_of = every.select("unit", "text").mapInArrow(lean(_signatures(size)), "unit long, n long, s0 long, s1 long, parts array<short>").drop("parts")
+    one = every.select("unit", "doc").join(set_of, "unit").groupBy("doc", "s0", "s1", "n").agg(F.min("unit").alias("unit")).select("unit")
+    units = scratch.write(every.join(one, "unit", "left_semi"), "units")
+    found = similarity_classes(units.select("unit", "text"), num, den, size, "unit", "text", Scratch(scratch.spark), links)
+    found = scratch.write(found.drop("n_shingles").join(units.select("unit", "doc"), "unit"), "by_unit")
+    least = lambda key: found.groupBy(key).agg(F.min("doc").alias("least"))
+    root = components(found.join(least("component_id"), "component_id").select(F.col("doc").alias("a"), F.col("least").alias("b")), scratch, "ids")
+    by_id = found.join(least("class_id"), "class_id").groupBy(F.col("doc").alias("d")).agg(F.min("least").alias("rep"), *([F.sum("n_links").alias("n_links")] if links else []))
+    out = sig.select("doc", "n").join(by_id, F.col("doc") == F.col("d"), "left").join(root, F.col("doc") == F.col("node"), "left")
+    cols = [F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"), F.col("rep").alias("class_id")]
+    return out.select(*cols, *(["n_links"] if links else []))
+
+
 def _across(root: DataFrame, classes: DataFrame, inside: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """node, linked: how many documents of other classes each class is linked to, of classes that share a component."""
     member = root.select("node", "root").union(root.select(F.col("root").alias("node"), "root").distinct())

@@ -84,6 +84,37 @@ def test_links_equal_sql(spark, data):
     assert got == sorted(con.execute(ngram_join.LINKS_SQL).fetchall())
 
 
+def test_ids_with_several_texts(spark):
+    """An id's texts are one document: every link of each of them joins components, copies of a text add none."""
+    base = {g: [f"g{g}w{k}" for k in range(40)] for g in range(8)}
+    near = lambda g, k: " ".join([*base[g][:k], f"n{k}", *base[g][k + 1 :]])
+    rows = [(i, near(g, k)) for i, g, k in ((1, 0, 0), (1, 1, 0), (2, 0, 39), (2, 1, 39), (3, 2, 0), (3, 3, 0), (4, 2, 39), (4, 3, 39))]
+    rows += [(5, near(4, 0)), (5, near(5, 0)), (5, near(6, 0)), (6, near(5, 39)), (7, near(6, 39)), (8, near(4, 39)), (9, near(7, 0))]
+    rows += [(5, near(5, 0).upper()), (9, near(7, 0)), (9, "  "), (10, None), (11, "one two"), (11, "TWO one"), (None, near(0, 1))]
+    grams = {}
+    for d, t in rows:
+        if d is not None and (w := WORD.findall(lower(t or ""))):
+            grams.setdefault(d, []).append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))})
+    linked = {(a, b) for a, x in grams.items() for b, y in grams.items() if any(100 * len(g & h) >= 80 * len(g | h) for g in x for h in y)}
+    want = {d: d for d, _ in rows if d is not None}
+    for _ in rows:
+        for a, b in linked:
+            want[a] = want[b] = min(want[a], want[b])
+    df = ngram_join.similarity_classes(docs_frame(spark, rows), links=True)
+    out = df.collect()
+    assert {r.doc_id: r.component_id for r in out if r.doc_id is not None} == want
+    assert want[2] == 1 and want[4] == 3 and want[7] == 5 and want[9] == 9
+    assert len(out) == len(rows) and [r.component_id for r in out if r.doc_id is None] == [None]
+    assert {r.doc_id: r.n_links for r in out if r.doc_id in (1, 6, 9, 10)} == {1: 2, 6: 1, 9: 0, 10: 0}
+
+
+def test_one_set_of_an_id_in_several_forms(spark):
+    """Rows of one id whose texts differ but for their sets keep the links of the id."""
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words)), (1, "  ".join(words).upper()), (1, "\t "), (2, " ".join([*words[:39], "x"])), (2, "\n".join([*words[:39], "X"])), (3, "other words of another text here")]
+    assert {(r.doc_id, r.component_id) for r in ngram_join.similarity_classes(docs_frame(spark, rows)).collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
 def test_empty(spark):
     assert ngram_join.similarity_classes(docs_frame(spark, [])).count() == 0
 
