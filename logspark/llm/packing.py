@@ -90,33 +90,36 @@ def pack(docs: DataFrame, capacity: int = 1024, end_token: int = 2, open_bins: i
         e = library_encoder(vocabulary)
         bins = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 40)
         end = np.array([end_token], np.uint32)
-        for b in batches:
-            texts, keys = b.column(1), b.column(0)
-            for lo, hi in chunks(texts):
-                rows: list[tuple[int, int, int, int, int]] = []
-                kept: list[np.ndarray] = []
-                for k, ids in enumerate(e.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])):
-                    ids = np.append(ids, end)
-                    n, start, piece = len(ids), 0, 0
-                    first = n if n <= capacity else (n % capacity or capacity)
-                    while start < n:
-                        stop = start + (first if piece == 0 else capacity)
-                        part = ids[start:stop]
-                        rows.append((lo + k, piece, start, stop - start, zlib.crc32(part.astype("<u4").tobytes())))
-                        if keep_ids:
-                            kept.append(part.astype(np.int32))
-                        start, piece = stop, piece + 1
-                table = np.array(rows, np.int64).reshape(-1, 5)
-                placed = np.zeros((len(rows), 2), np.int64)
-                # within a chunk the longest come first: fewer sequences stay part-filled
-                for r in np.argsort(-table[:, 3], kind="stable").tolist():
-                    placed[r] = bins.place(rows[r][3])
-                cols = [keys.take(pa.array(table[:, 0])), pa.array(table[:, 1].astype(np.int32)), *(pa.array(table[:, c]) for c in (2, 3, 4)), pa.array(placed[:, 0]), pa.array(placed[:, 1])]
-                names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-                if keep_ids:
-                    cols.append(pa.array(kept, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names)
+        try:
+            for b in batches:
+                texts, keys = b.column(1), b.column(0)
+                for lo, hi in chunks(texts):
+                    rows: list[tuple[int, int, int, int, int]] = []
+                    kept: list[np.ndarray] = []
+                    for k, ids in enumerate(e.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])):
+                        ids = np.append(ids, end)
+                        n, start, piece = len(ids), 0, 0
+                        first = n if n <= capacity else (n % capacity or capacity)
+                        while start < n:
+                            stop = start + (first if piece == 0 else capacity)
+                            part = ids[start:stop]
+                            rows.append((lo + k, piece, start, stop - start, zlib.crc32(part.astype("<u4").tobytes())))
+                            if keep_ids:
+                                kept.append(part.astype(np.int32))
+                            start, piece = stop, piece + 1
+                    table = np.array(rows, np.int64).reshape(-1, 5)
+                    placed = np.zeros((len(rows), 2), np.int64)
+                    # within a chunk the longest come first: fewer sequences stay part-filled
+                    for r in np.argsort(-table[:, 3], kind="stable").tolist():
+                        placed[r] = bins.place(rows[r][3])
+                    cols = [keys.take(pa.array(table[:, 0])), pa.array(table[:, 1].astype(np.int32)), *(pa.array(table[:, c]) for c in (2, 3, 4)), pa.array(placed[:, 0]), pa.array(placed[:, 1])]
+                    names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+                    if keep_ids:
+                        cols.append(pa.array(kept, pa.list_(pa.int32())))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(cols, names)
+        finally:  # workers stay for later stages: the vocabulary and its cache don't
+            library_encoder.cache_clear()
 
     return docs.select(id_col, text_col).mapInArrow(lean(run), fields + (", ids array<int>" if keep_ids else ""))
 
