@@ -221,10 +221,10 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100, size: int
         pairs = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = scratch.write(_filtered(scratch.write(pairs, f"raw{turn}"), classes, num, den), f"tried{turn}")
         tried = tried.union(pairs)
-        links = scratch.write(_links(pairs, known, size, num, den), f"links{turn}")
-        some = not links.isEmpty()
+        new = scratch.write(_links(pairs, known, size, num, den), f"links{turn}")
+        some = not new.isEmpty()
         if some:
-            root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), scratch, f"b{turn}")
+            root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new), scratch, f"b{turn}")
         scratch.drop(f"links{turn}")
         if turn > MOST_TURNS:
             break

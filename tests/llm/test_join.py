@@ -84,6 +84,19 @@ def test_links_equal_sql(spark, data):
     assert got == sorted(con.execute(ngram_join.LINKS_SQL).fetchall())
 
 
+def test_join_equals_sql(spark, tmp_path):
+    """Columns and rows of the SQL, whatever the turns of the join find; the number of links only where it is asked for."""
+    words = [f"w{k}" for k in range(60)]
+    rows = hard_texts() + [(300 + k, " ".join([*words[:k], f"c{k}", *words[k + 1 :]])) for k in range(0, 60, 5)]
+    docs_frame(spark, [(d, t) for d, t in dict(rows).items() if d not in (None, 200, 201)]).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ngram_join.ORACLE_SQL)
+    df = ngram_join.op3_ngram_join(spark, str(tmp_path))
+    assert df.columns == [c[0] for c in want.description]
+    assert sorted(map(tuple, df.collect())) == sorted(want.fetchall())
+
+
 def test_ids_with_several_texts(spark):
     """An id's texts are one document: every link of each of them joins components, copies of a text add none."""
     base = {g: [f"g{g}w{k}" for k in range(40)] for g in range(8)}
