@@ -10,8 +10,9 @@ its secrets, come from one pass without a shuffle, a join or a Python worker.
 generated ones (a bounded number, by rule).
 
 Edge cases: null and empty texts have no findings; a null path counts as none; repeated rows are scanned each; an
-empty table gives no rows; a match runs to the end of its token, however long, and features read its first 200
-characters; other columns are kept by ``redact`` and not read by ``scan``.
+empty table gives no rows; a match runs to the end of its token, however long, and is scored as its likeliest piece of
+200 characters, over pieces that start every 100 and reach its end; other columns are kept by ``redact`` and not read by
+``scan``.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ _ASSIGNED = r"(?<=[:=]\s{0,2}[\"']?)(?<=(?i:" + "|".join(NAMES) + r")[\"']?\s{0,
 _MIXED = r"(?<![\w+/-])(?=[A-Za-z_+/-]*+[0-9])[\w+/-]{16,}+={0,2}"
 _SHAPED = r"(?<![A-Za-z0-9])(?:eyJ[\w+/-]{12,}+={0,2}(?:\.[\w+/-]++={0,2}){0,2}|(?:A[KS]IA(?=[A-Z0-9]{16})|" + "|".join(p for p in PREFIXES if p not in ("AKIA", "ASIA", "eyJ")) + r")[\w+/-]{12,}+={0,2})"
 PATTERN = f"{_ASSIGNED}|{_SHAPED}|{_MIXED}"
-#: Characters of a candidate that features read; length, digest and redaction take all of it.
+#: Characters that features read at once: a longer candidate is read in overlapping pieces, all of it.
 FEATURE_CHARS = 200
 TREES, DEPTH = 25, 6
 FEATURES = 15
@@ -90,6 +91,14 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
     )
 
 
+def pieces(value: Column) -> Column:
+    """value in pieces of at most FEATURE_CHARS, each of which starts half of that after the one before."""
+    half = F.regexp_extract_all(value, F.lit(f"(?s).{{1,{FEATURE_CHARS // 2}}}"), F.lit(0))
+    most = F.greatest(F.size(half) - 1, F.lit(1))
+    both = F.zip_with(F.slice(half, 1, most), F.slice(half, 2, most), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(F.length(value) > FEATURE_CHARS, both).otherwise(F.array(value))
+
+
 def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     """Labelled findings made by rule: keys of known shapes, random values and their look-alikes."""
     i = F.col("id")
@@ -202,11 +211,12 @@ def with_findings(docs: DataFrame, forest: Forest, text_col: str = "text", path_
 
     def finding(v: Column, k: Column) -> Column:
         before, after = F.right(F.get(gaps, k), F.lit(60)), F.left(F.get(gaps, k + 1), F.lit(40))
-        return F.struct(F.get(starts, k).cast("long").alias("start"), v.alias("value"), features(F.left(v, F.lit(FEATURE_CHARS)), before, after, path).alias("x"))
+        return F.struct(F.get(starts, k).cast("long").alias("start"), v.alias("value"), before.alias("before"), after.alias("after"))
 
     cut = cut.withColumn(found, F.transform(values, finding))
+    cut = cut.withColumn(found, F.transform(found, lambda f: f.withField("x", F.transform(pieces(f["value"]), lambda p: features(p, f["before"], f["after"], path)))))
     rule = lambda v: F.when(v.rlike("^(?:" + "|".join(PREFIXES) + ")"), F.lit("known shape")).otherwise(F.lit("value"))
-    scored = cut.withColumn(findings, F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["value"].alias("value"), rule(f["value"]).alias("rule"), forest.score(f["x"]).alias("score"))))
+    scored = cut.withColumn(findings, F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["value"].alias("value"), rule(f["value"]).alias("rule"), F.array_max(F.transform(f["x"], forest.score)).alias("score"))))
     return scored.withColumn(findings, F.transform(findings, lambda f: f.withField("is_secret", f["score"] >= threshold))).drop(values, starts, found)
 
 

@@ -248,3 +248,24 @@ def test_long_secrets_and_late_digits_are_redacted_whole(spark, forest):
     assert all((x._gaps, x._values, x["__findings"]) == ("own", "own", "own") for x in out.values())
     found = {(x.doc_id, x.start, x.length) for x in secret_scan.scan(docs, forest).collect()}
     assert {(1, 9, 5000), (2, 9, 120), (3, 4, 120)} <= found
+
+
+def test_all_of_a_long_candidate_is_scored(spark, forest):
+    """A 300-character key after 400 characters of a path is found; a score is the highest of the pieces, scanned one by one."""
+    r = random.Random(5)
+    path = lambda n: "/".join(r.choice(secret_scan.WORDS) for _ in range(n // 6))
+    key = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(300))
+    lost = [(900, f"{path(400)}/{key}"), (901, f"{path(2400)}/{key}/{path(400)}")]
+    hexes = hashlib.sha512(b"x").hexdigest() + "0123456789" * 12 + hashlib.sha512(b"y").hexdigest() * 3
+    sizes = {1000 + n: hexes[:n] for n in (199, 200, 201, 300, 301, 399, 400, 401, 632)}
+    parts = {}
+    for d, v in sizes.items():
+        for k in range(max(-(-len(v) // 100) - 1, 1)):
+            parts[d * 100 + k] = v[100 * k : 100 * k + 200]
+    docs = docs_frame(spark, [(d, f"see {v} there") for d, v in [*lost, (902, path(2400) + "/v2"), *sizes.items(), *parts.items()]])
+    got = {x.doc_id: x for x in secret_scan.scan(docs, forest).collect()}
+    assert got[900].is_secret and got[901].is_secret and not got[902].is_secret
+    for d in sizes:
+        assert got[d].score == max(got[p].score for p in parts if p // 100 == d)
+    clean = {x.doc_id: x.text for x in secret_scan.redact(docs, forest).collect()}
+    assert clean[900] == clean[901] == "see [SECRET] there"
