@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def trim() -> None:
@@ -31,6 +32,13 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return whole
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """A full collection on the executors, as a task for each of their cores: a heap that a step has grown is given back
+    before the next one starts. Without effect where explicit collections are switched off."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def folder(spark: SparkSession) -> str:
     """The cluster's shared folder, spark.checkpoint.dir; one of our own only where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -58,3 +58,18 @@ def test_stages_keep_the_columns(spark, small):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs.limit(30), small)
         assert out.columns == docs.columns
+
+
+def test_stages_collect_garbage_first(spark, small):
+    """Executors (here the driver's own process) give a grown heap back before each stage."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+
+    def full() -> int:
+        return sum(b.getCollectionCount() for b in beans() if b.getName() in ("G1 Old Generation", "PS MarkSweep", "MarkSweepCompact"))
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(30).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, small)
+        assert full() > before, name
+    docs.unpersist()
